@@ -7,6 +7,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op6_line_dedup": "line_dedup",
+    "op2_decontaminate": "decontaminate",
     "op8_bpe": "bpe",
     "op9_simhash_dedup": "simhash_dedup",
 }
