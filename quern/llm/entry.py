@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op6_line_dedup": "line_dedup",
     "op2_decontaminate": "decontaminate",
+    "op3_pii": "pii",
     "op5_quality_rules": "quality_rules",
     "op8_bpe": "bpe",
     "op9_simhash_dedup": "simhash_dedup",
