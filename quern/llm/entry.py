@@ -7,6 +7,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op6_line_dedup": "line_dedup",
+    "op1_warc": "warc",
     "op2_decontaminate": "decontaminate",
     "op3_pii": "pii",
     "op5_quality_rules": "quality_rules",
