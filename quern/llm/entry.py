@@ -13,6 +13,7 @@ _QUERIES = {
     "op5_quality_rules": "quality_rules",
     "op8_bpe": "bpe",
     "op9_simhash_dedup": "simhash_dedup",
+    "op10_html_extract": "html_extract",
 }
 
 
