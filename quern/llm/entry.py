@@ -11,6 +11,7 @@ _QUERIES = {
     "op2_decontaminate": "decontaminate",
     "op3_pii": "pii",
     "op5_quality_rules": "quality_rules",
+    "op7_license_scan": "license_scan",
     "op8_bpe": "bpe",
     "op9_simhash_dedup": "simhash_dedup",
     "op10_html_extract": "html_extract",
