@@ -10,6 +10,7 @@ _QUERIES = {
     "op1_warc": "warc",
     "op2_decontaminate": "decontaminate",
     "op3_pii": "pii",
+    "op4_cotraining": "cotraining",
     "op5_quality_rules": "quality_rules",
     "op7_license_scan": "license_scan",
     "op8_bpe": "bpe",
