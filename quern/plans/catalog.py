@@ -5,29 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 
+from quern.plans import documents, relational, tables
 
-def ref_join_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by the market segment of their customer."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_totalprice")
-    joined = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"))
-    return joined.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
-
-
-_QUERIES["ref_join_group"] = ref_join_group
-_SQL["ref_join_group"] = "SELECT c_mktsegment, count(*) AS n, sum(o_totalprice) AS s FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment"
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    """By name: functions of (spark, sf_dir)."""
+    return {**relational.QUERIES, **documents.QUERIES, **tables.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    """DuckDB SQL by query name."""
+    return {**relational.SQL, **documents.SQL, **tables.SQL}
