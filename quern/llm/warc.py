@@ -153,7 +153,7 @@ def decide(manifest: DataFrame, min_bytes: int) -> DataFrame:
     return joined.select("archive", "place", "page", "digest", "length", again.alias("again"), F.when(again, F.col("first.page")).alias("refers_to"))
 
 
-def normalise(decisions: DataFrame, source: str, target: str, level: int) -> DataFrame:
+def normalise(decisions: DataFrame, source: str, target: str, level: int, tasks: int) -> DataFrame:
     """Rewrite each archive with a member per record and a sidecar; a row per new archive: archive, records, bytes."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -181,6 +181,8 @@ def normalise(decisions: DataFrame, source: str, target: str, level: int) -> Dat
         return pd.DataFrame({"archive": [new], "records": [place], "bytes": [at]})
 
     chosen = decisions.select("archive", "place", "again", F.col("refers_to").cast("string").alias("refers_to"))
+    # the rows are slim but stand for whole archives: a fixed number of tasks, as sizes would put many archives in one
+    chosen = chosen.repartition(tasks, "archive")
     return chosen.groupBy("archive").applyInPandas(run, "archive string, records long, bytes long")
 
 
@@ -224,7 +226,8 @@ def archive_pages(
     spark = pages.sparkSession
     source, target = new_dir(spark, "warc-monolithic"), new_dir(spark, "warc")
     manifest = materialize(write_monolithic(pages, source, id_col, url_col, payload_col, max_bytes, level), "warc-manifest")
-    made = materialize(normalise(decide(manifest, min_bytes), source, target, level), "warc-archives")
+    tasks = max(1, min(20_000, 2 * manifest.select("archive").distinct().count()))
+    made = materialize(normalise(decide(manifest, min_bytes), source, target, level, tasks), "warc-archives")
     fs, root = open_fs(source)
     if fs.get_file_info(root).type.name == "Directory":
         fs.delete_dir(root)  # every record is in the new archives, which the table names
