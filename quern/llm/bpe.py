@@ -112,7 +112,7 @@ class Merges:
 class Transducer:
     """The determinised encoder of single pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.merges = Merges(ranks)
         self.ranks, self.max_states = ranks, max_states
         self.next_node: list[dict[int, int]] = [{}]
@@ -193,7 +193,7 @@ class Transducer:
 class Tokenizer:
     """Encodes texts and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_chunks: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_chunks: int = 350_000):
         self.transducer = Transducer(ranks)
         self.pattern, self.max_chunks = regex.compile(pattern), max_chunks
         self.token_bytes = {i: t for t, i in ranks.items()}
