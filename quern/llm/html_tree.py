@@ -11,6 +11,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("head script style noscript template iframe svg math select option optgroup datalist button textarea object canvas audio video map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+IN_HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
@@ -62,6 +63,8 @@ def parse(html: str) -> Page:
 
     def add(text: str) -> None:
         nonlocal owner
+        if stack[-1][0] == "head" and text.strip():
+            close("head")
         if dropped or not text:
             return
         block = stack[-1][1]
@@ -104,6 +107,8 @@ def parse(html: str) -> Page:
             close(m[1].lower())
         elif m[2]:
             tag, rest = m[2].lower(), m[3]
+            if tag == "body" or (stack[-1][0] == "head" and tag not in IN_HEAD):
+                close("head")
             if tag == "br" or tag == "hr":
                 flush()
             if tag in CLOSES_P and counts.get("p"):
