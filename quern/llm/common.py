@@ -33,7 +33,7 @@ def pieces(batch: pa.RecordBatch, text: str, max_bytes: int = 16 << 20) -> Itera
 def with_columns(
     docs: DataFrame,
     add: list[tuple[str, str]],
-    compute: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, dict[str, list]]]],
+    compute: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, dict[str, list | pa.Array]]]],
 ) -> DataFrame:
     """``docs`` with new columns worked out batch by batch in Python.
 
@@ -51,7 +51,7 @@ def with_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in compute(batches):
             columns = [batch.column(f.name) for f in old]
-            columns += [pa.array(values[n], kinds[n]) for n in kinds]
+            columns += [v.cast(kinds[n]) if isinstance(v := values[n], pa.Array) else pa.array(v, kinds[n]) for n in kinds]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -45,9 +46,9 @@ def test_random_texts(own, plain):
 
 def test_other_vocabulary(plain):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    own = bpe.Tokenizer(bpe.read_ranks(path), public_tokenizers.PATTERN, max_chunks=50)
+    own = bpe.Tokenizer(bpe.read_ranks(path), public_tokenizers.PATTERN)
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    own.transducer.max_states = 100
+    own.transducer.max_states, own.transducer.pairs.limit = 100, 50
     for text in ("Der Fluß fließt über Öl", "año niño 中文字符 работа", "xqzjkv" * 50, "    \n\n  x"):
         assert own.encode(text) == packed(plain, text)
 
@@ -66,3 +67,48 @@ def test_odd_rows(spark):
     rows = bpe.decode(made, PATH, public_tokenizers.PATTERN).collect()
     assert [r.decoded for r in rows] == [r.text or "" for r in rows] and len(rows) == 5
     assert bpe.encode(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_pieces_settle_in_windows(plain):
+    rng = random.Random(3)
+    own = bpe.Transducer(bpe.read_ranks(PATH), window=200)
+    for letters in ("a", "ab", "xqzjkv", "theandingio", "\u00e9\u4e2d"):
+        piece = "".join(rng.choice(letters) for _ in range(3000))
+        assert own.encode(piece.encode()) == plain.encode_ordinary(piece)
+
+
+def test_patterns_that_may_not_be_cut_at_spaces():
+    for pattern in (r"\w+ \w+|[\s\S]", r" +|[^ ]+", r"[\s\S]{1,3}"):
+        own = bpe.Tokenizer(bpe.read_ranks(PATH), pattern)
+        plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+        for text in ("one two three  four", " a\n b", "", "caf\u00e9 au lait " * 30):
+            assert own.encode(text) == packed(plain, text)
+
+
+def test_tokens_that_no_merge_makes():
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"xyz": 257, b"q" * 100: 258}
+    own = bpe.Tokenizer(ranks, r"\S+|\s+")
+    plain = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    for text in ("xyz xyzab ab xyz abc", "q" * 100 + " " + "q" * 101, "xyz"):
+        assert own.encode(text) == packed(plain, text)
+
+
+def test_batches_of_texts_with_nulls(own, plain):
+    texts = ["a  b", None, "", " x y", "z\n \n c", None, "word " * 50, "a  b"]
+    got = own.encode_all(pa.array(["skipped", *texts], pa.string())[1:]).to_pylist()
+    assert got == [packed(plain, t) for t in texts]
+
+
+def test_decoding_in_any_stride(own):
+    rng = random.Random(5)
+    texts = ["a\u00f1\u4e2d\U0001f642x" * 9, "", "plain text", "\U0001f642" * 30]
+    for stride in (1, 2, 3, 7, 256):
+        for text, stream in zip(texts, bpe.streams(own, own.encode_all(pa.array(texts)), stride)):
+            parts = list(stream)
+            assert b"".join(parts) == text.encode()
+            assert "".join(p.decode() for p in parts) == text
+    for _ in range(300):  # malformed bytes: what is decoded bit by bit is what is decoded at once
+        data = bytes(rng.choice([0x41, 0x80, 0xBF, 0xC2, 0xE0, 0xA0, 0xED, 0x9F, 0xF0, 0x90, 0xF4, 0x8F, 0xFF]) for _ in range(12))
+        ids = [own.transducer.ranks[data[i : i + 1]] for i in range(12)]
+        stream = bpe.StreamDecoder(own)
+        assert "".join(stream.feed([i]) for i in ids) + stream.finish() == data.decode("utf-8", "replace")
