@@ -12,7 +12,8 @@ headers, footers, sidebars, notices, adverts, forms and comments around and insi
 the markup errors that real pages have. Other labelled pages can be given to ``TreeModel.fit``.
 
 All pages of a batch are one forest, passed level by level with numpy. Inline elements belong to their
-block. Scripts, styles, the head, controls and hidden blocks never count. Character references are
+block. Scripts, styles, the head and form controls never count; all other text is the model's to judge.
+Character references are
 decoded, white space inside a block becomes one space, and blocks are joined in page order by one space.
 
 Defined cases: a null or empty page gives an empty text; so does a page without article. Other columns
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import pieces, with_columns
 from quern.llm.html_tree import Page, parse
 
-# Tags and words of class, id and role that say what a block is for.
-_TAGS = [("article",), ("main",), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog"), ("p", "blockquote", "pre"), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dd", "dt"), ("ul", "ol", "dl"), ("div",), ("section",), ("table", "tbody", "tr", "td", "th"), ("figure", "figcaption"), ("body", "html", "#page")]
+# Tags and words of class, id and role that say what a block is for.
+_TAGS = [("article",), ("main",), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog"), ("p", "blockquote", "pre"), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dd", "dt"), ("ul", "ol", "dl"), ("div",), ("section",), ("table", "tbody", "tr", "td", "th"), ("figure", "figcaption"), ("body", "html", "#page"), ("noscript",)]
 _WORDS = [
     "article post entry content story main body text hentry articlebody prose",
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip",
@@ -45,12 +46,13 @@ _WORDS = [
     "comment comments reply replies disqus respond discussion",
     "share social related recommended more newsletter subscribe signup login search form tags",
 ]
-# Fixed values end.
+#: Words that say nothing beside those; any other word says that the block is about something of its own.
+_PLAIN_WORDS = frozenset("list body slot box bar block wrap wrapper container inner outer item items area unit site page section row col column left right link links title text top bottom id x new main component module group panel".split())
 _WORD_OF = {w: k for k, words in enumerate(_WORDS) for w in words.split()}
 _TAG_OF = {t: k for k, tags in enumerate(_TAGS) for t in tags}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _STRUCTURE = frozenset("div section article main nav header footer aside form fieldset table ul ol dl figure details dialog menu".split())
-N_FEATURES = len(_TAGS) + len(_WORDS) + 9
+N_FEATURES = len(_TAGS) + len(_WORDS) + 10
 
 
 class Forest:
@@ -73,10 +75,14 @@ class Forest:
                 if (t := _TAG_OF.get(b.tag)) is not None:
                     x[t] = 1.0
                 at = len(_TAGS)
+                own = False
                 for w in _SPLIT.split(b.names) if b.names else ():
                     if (c := _WORD_OF.get(w)) is not None:
                         x[at + c] = 1.0
+                    elif w and not w.isdigit() and w not in _PLAIN_WORDS:
+                        own = True
                 at += len(_WORDS)
+                x[at + 9] = float(own)
                 density = min(1.0, linked[k] / total[k]) if total[k] else 0.0
                 x[at : at + 9] = [1.0, min(1.0, b.chars / 200), float(0 < b.chars < 25), density, float(density > 0.6), total[k] / whole, float(total[k] > 0.6 * whole), float(k > 0 and blocks[b.parent].tag in ("body", "html", "#page")), float(total[k] == 0)]
                 rows.append(x)
@@ -86,7 +92,8 @@ class Forest:
         self.parent, self.kind = np.array(parents, np.int64), np.array(kinds, np.int64)
         self.x = np.array(rows, np.float64).reshape(-1, N_FEATURES)
         depth = np.array(depths, np.int64)
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)] if len(depth) else []
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1)))[1:] if len(depth) else []
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -152,7 +159,7 @@ class TreeModel:
         keep = self.marginals(f) > 0.5
         out = []
         for page, start in zip(pages, f.starts, strict=True):
-            out.append(" ".join(t for b, t in page.runs if keep[start + b] and not page.blocks[b].hidden))
+            out.append(" ".join(t for b, t in page.runs if keep[start + b]))
         return out
 
 
@@ -218,18 +225,25 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, set[str], st
                 return f"<table><tr><td>{good(1, 4)}</td><td>{good(1, 4)}</td></tr></table>"
             if turn < 0.42:
                 return f'<p><a href="/y">{good(1, 8)}</a></p>'
+            if turn < 0.44:
+                return f"<noscript>{good(1, 20)}</noscript>"
             return f"<p>{good()}</p>"
 
+        def aside() -> str:
+            """A part of the article whose name has a word of other parts beside one of its own."""
+            name = pick(tuple(_WORD_OF)) + "-" + pick(("work", "note", "effects", "price", "factor", "hoc", "history", "data", "results", "method", "summary", "story2", "zone", "quote"))
+            return f'<{(tag := pick(("div", "div", "section", "section", "figure")))} class="{name}">' + "".join(f"<p>{good(2, 40)}</p>" for _ in range(rng.randint(1, 3))) + f"</{tag}>"
+
         body = maybe(0.9, lambda: f"<h1>{good(1, 12)}</h1>")
         for _ in range(rng.randint(1, 12)):
             body += paragraph()
-            body += maybe(0.03, advert) + maybe(0.01, form)
+            body += maybe(0.03, advert) + maybe(0.01, form) + maybe(0.06, aside)
         tail = maybe(0.12, lambda: box("div", ("share", "social", "tags", "related"), links(3)))
         if semantic:
             article = pick((f"<article>{body}{tail}</article>", f"<article>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", f'<article class="post"><div class="entry-content">{body}</div>{tail}</article>'))
         else:
             article = pick((box("div", ("content", "article", "post", "entry", "story", "article-body", "main", "text"), body + tail), f'<div class="main"><div class="post">{body}</div></div>', f"<div>{body}</div>", f'<section class="content">{body}</section>'))
-        before = maybe(0.5, header) + maybe(0.6, nav) + maybe(0.25, notice) + maybe(0.4, advert)
+        before = maybe(0.1, lambda: f"<noscript>{bad(2, 10)}</noscript>") + maybe(0.5, header) + maybe(0.6, nav) + maybe(0.25, notice) + maybe(0.4, advert)
         after = maybe(0.35, side) + maybe(0.3, comments) + maybe(0.25, form) + maybe(0.2, advert) + maybe(0.8, footer) + maybe(0.1, notice)
         inner = before + article + after if rng.random() < 0.7 else before + f'<div class="{pick(("wrapper", "container", "page", "row"))}">{article}{maybe(0.5, side)}</div>' + after
         head = f"<!DOCTYPE html><html><head><title>{bad()}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head>"

@@ -70,3 +70,12 @@ def test_odd_rows(spark):
     rows = x.extract(pages).collect()
     assert sorted((str(r.page_id), r.text[:10], r.n_chars) for r in rows) == [("1", "T text one", 10), ("1", "T text one", 10), ("3", "T word wor", 500_001), ("None", "", 0)]
     assert x.extract(pages.limit(0)).count() == 0
+
+
+def test_parts_with_misleading_names_stay():
+    pages = {
+        '<article><p>one two three</p><div class="comment-note"><p>four five</p></div></article>': "one two three four five",
+        '<body><nav><ul><li><a href=x>menu</a></li></ul></nav><article><h1>Title</h1><p>one two three</p><section class="related-work"><h2>Related work</h2><p>Others did this before us.</p></section></article><footer>end</footer>': "Title one two three Related work Others did this before us.",
+        "<article><h1>T</h1><p>Energy is <math>E</math> and <object>fallback words</object></p></article>": "T Energy is E and fallback words",
+    }
+    assert x.default_model().texts(list(pages)) == list(pages.values())
