@@ -44,6 +44,18 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables that nothing will read again."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        root = f"{shared_root(table.sparkSession)}/"
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            own = jvm.org.apache.hadoop.fs.Path(root)
+            if path.toUri().getPath().startswith(own.toUri().getPath()):
+                path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI (file, hdfs, s3, gs, ... as Arrow supports) and the path on it."""
     if "://" not in uri and uri.startswith("file:"):
