@@ -8,8 +8,8 @@ fingerprint, the count, and the largest id. Shards are files in the shared folde
 each task hashes its lines again, groups them by shard, and probes the arrays; no line is joined and
 no document moves. A key counts as found only if all 128 bits agree.
 
-Defined cases: a null or empty text is one empty line. Each row counts as a document; a null id ranks
-below every other id. Lines of fewer than ``min_chars`` code points always stay. Other columns pass.
+Defined cases: a null or empty text is one empty line. Rows of equal id are one document, and so are those
+without an id, which ranks below every other. Lines of fewer than ``min_chars`` code points always stay. Other columns pass.
 """
 
 from __future__ import annotations
@@ -47,7 +47,10 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_counts(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """A row per key held by ``min_docs`` rows at least: lo, hi, n, last (the largest id)."""
+    """A row per key held by ``min_docs`` documents at least: lo, hi, n, last (the largest id).
+
+    Where ids repeat, a key counts once for an id; else no row is sent but map-side sums.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,6 +65,8 @@ def line_counts(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min
                     yield pa.RecordBatch.from_arrays([pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(owner, pa.int64())], names=["lo", "hi", "id"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(keys, "lo long, hi long, id long")
+    if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        rows = rows.distinct()
     return rows.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).filter(F.col("n") >= min_docs)
 
 

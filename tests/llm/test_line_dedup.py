@@ -51,3 +51,10 @@ def test_odd_rows_and_many_shards(spark):
         assert got == brute(rows)
     assert l.dedup_lines(docs.limit(0)).count() == 0
     assert set(l.dedup_lines(docs).columns) == {"doc_id", "extra", "text", "n_lines", "n_dropped"}
+
+
+def test_rows_of_equal_id_are_one_document(spark):
+    line = "a line that some documents have"
+    for ids, gone in (([1, 2, 2], 0), ([1, 2, 3, 3], 2), ([None, None, 1], 0), ([None, 1, 2], 2)):
+        docs = spark.createDataFrame([(i, line) for i in ids], "doc_id long, text string")
+        assert sum(r.n_dropped for r in l.dedup_lines(docs).collect()) == gone
