@@ -15,16 +15,22 @@ Verification. An item is split in question and answer (at an "answer:" mark, els
 its last quarter). A document is reported for an item if enough of the question's and of the answer's
 five-word shingles occur in it.
 
-Scale. Documents are not shuffled. The index is broadcast in blocks of items of bounded size, one pass
-over the documents for each; counts of words over items come from all items.
+Scale. Documents are not shuffled. Items are indexed in blocks of bounded size, written to the shared
+folder one by one; a task holds one block at a time and passes it over a piece of its documents, so memory
+is bounded however many items there are. Counts of words over items come from all items.
 
-Defined cases: null or empty documents match nothing. Items under ``min_words`` words, null and empty
-ones are not searched. Repeated items and documents give repeated rows. Other columns pass through.
+Words are runs of letters, digits and underscores; in scripts without spaces (Chinese, Japanese, Thai)
+each character is a word.
+
+Defined cases: null or empty documents match nothing. Items under ``min_words`` words are found where they
+are a whole line of a document (score and overlaps 1): as parts of lines, words so few prove nothing. Null
+and empty items are not searched. Repeated items and documents give repeated rows. Other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -36,8 +42,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import pieces, with_columns
+from quern.storage import new_dir, open_fs
 
-_WORDS = re.compile(r"\w+")
+_UNSPACED = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORDS = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
+_PLAIN = re.compile(r"\w+")
 _ANSWER = re.compile(r"(?im)^\s*(?:answer|a)\s*[:.]")
 _QUESTION = re.compile(r"(?i)^\s*(?:question|q)\s*[:.]")
 _BLOCK = 32
@@ -47,7 +56,8 @@ _GROUPS = 12
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case runs of letters, digits and underscores."""
-    return _WORDS.findall((text or "").lower())
+    text = (text or "").lower()
+    return _PLAIN.findall(text) if text.isascii() else _WORDS.findall(text)
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -172,7 +182,13 @@ class ItemIndex:
 class Benchmark:
     """A block of items: their indexes by length, and what verification needs."""
 
-    def __init__(self, items: list[tuple[object, str]], n_items: int, mean_length: float, frequency: dict[str, int], width: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[object, str]], n_items: int, mean_length: float, frequency: dict[str, int], width: int, min_words: int = 1, k1: float = 1.2, b: float = 0.75):
+        short = [(i, words_of(t)) for i, t in items if len(words_of(t)) < min_words]
+        items = [(i, t) for i, t in items if len(words_of(t)) >= min_words]
+        self.lines: dict[tuple[str, ...], list] = defaultdict(list)
+        for i, own in short:
+            self.lines[tuple(own)].append(i)
+        self.longest = max((sum(map(len, own)) + 8 * len(own) for _, own in short), default=0)
         self.ids = [i for i, _ in items]
         self.parts = [tuple(shingles(part, width) for part in split_item(text)) for _, text in items]
         self.terms: dict[str, int] = {}
@@ -194,6 +210,7 @@ class Benchmark:
         words = words_of(text)
         if not words:
             return []
+        whole = self._whole_lines(text) if self.lines else []
         get, none = self.terms.get, len(self.terms)
         own = [get(w, none) for w in words]
         ids = np.array(own, np.int64)
@@ -205,7 +222,7 @@ class Benchmark:
                     for item, score in index.search(terms, threshold):
                         best[item] = max(score, best.get(item, 0.0))
         if not best:
-            return []
+            return whole
         have: dict[int, set] = {}
         out = []
         for item, score in sorted(best.items()):
@@ -217,7 +234,12 @@ class Benchmark:
                 overlaps.append(sum(x in have[n] for x in part) / len(part) if part else 1.0)
             if overlaps[0] >= question and overlaps[1] >= answer:
                 out.append((self.ids[item], score, *overlaps))
-        return out
+        return out + whole
+
+    def _whole_lines(self, text: str) -> list[tuple[object, float, float, float]]:
+        """Short items that are a line of the text."""
+        found = {i: None for line in text.split("\n") if len(line) <= 4 * self.longest and (own := tuple(words_of(line))) in self.lines for i in self.lines[own]}
+        return [(i, 1.0, 1.0, 1.0) for i in found]
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, min_words: int, width: int, max_bytes: int) -> Iterator[Benchmark]:
@@ -235,13 +257,27 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, min_words: int, width:
     size, = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_items, length = counted.filter("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
     blocks = max(1, -(-size // max_bytes))
-    for k in range(blocks if n_items else 0):
+    for k in range(blocks if size else 0):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        rows = [(r.id, r.text) for r in own.collect() if len(words_of(r.text)) >= min_words]
+        rows = [(r.id, r.text) for r in own.collect() if words_of(r.text)]
         frequency = counted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
         if blocks > 1:  # of this block's words only
             frequency = frequency.join(own.select("text").mapInArrow(terms, "word string, n long").select("word").distinct(), "word", "left_semi")
-        yield Benchmark(rows, n_items, length / n_items, {r.word: r.df for r in frequency.collect()}, width)
+        if rows:
+            yield Benchmark(rows, n_items, (length or 0) / max(1, n_items), {r.word: r.df for r in frequency.collect()}, width, min_words)
+
+
+#: The block that this Python worker read last, by its file.
+_READ: dict[str, Benchmark] = {}
+
+
+def _block(uri: str) -> Benchmark:
+    if uri not in _READ:
+        _READ.clear()
+        fs, path = open_fs(uri)
+        with fs.open_input_file(path) as f:
+            _READ[uri] = pickle.loads(f.read())
+    return _READ[uri]
 
 
 def mark_leaks(
@@ -263,26 +299,36 @@ def mark_leaks(
     """
     kind = f"array<struct<item_id:{items.schema[item_id_col].dataType.simpleString()},score:double,question:double,answer:double>>"
     names = ("item_id", "score", "question", "answer")
-    marks = []
+    folder = new_dir(docs.sparkSession, "benchmark")
+    uris = []
     for k, block in enumerate(_blocks(items, item_id_col, item_text_col, min_words, width, max_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        marks.append(mark := f"leaks__{k}")
+        fs, path = open_fs(f"{folder}/{k}")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path) as f:
+            f.write(pickle.dumps(block))
+        uris.append(f"{folder}/{k}")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, mark=mark):
-            for batch in batches:
-                for part in pieces(batch, text_col):
-                    texts = part.column(text_col).to_pylist()
-                    yield part, {mark: [[dict(zip(names, x, strict=True)) for x in shared.value.leaks(t, threshold, width, question, answer)] if t else [] for t in texts]}
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in pieces(batch, text_col):
+                texts = part.column(text_col).to_pylist()
+                found: list[list[dict]] = [[] for _ in texts]
+                for uri in uris:
+                    for own, text in zip(found, texts, strict=True):
+                        own += [dict(zip(names, x, strict=True)) for x in _block(uri).leaks(text, threshold, width, question, answer)] if text else []
+                yield part, {"leaks": found}
 
-        docs = with_columns(docs, [(mark, kind)], run)
-    found = F.concat(*marks) if marks else F.array().cast(kind)
-    return docs.withColumn("leaks", found).drop(*marks)
+    return with_columns(docs, [("leaks", kind)], run)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without those that hold an item; all columns stay."""
-    marked = mark_leaks(docs.withColumnRenamed("leaks", "leaks__kept"), items, **options)
-    return marked.filter(F.size("leaks") == 0).drop("leaks").withColumnRenamed("leaks__kept", "leaks").select(*docs.columns)
+    aside = "leaks"
+    while aside in docs.columns:
+        aside += "_"
+    marked = mark_leaks(docs.withColumnRenamed("leaks", aside), items, **options)
+    kept = marked.filter(F.size("leaks") == 0).drop("leaks")
+    return (kept.withColumnRenamed(aside, "leaks") if "leaks" in docs.columns else kept).select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
