@@ -175,7 +175,7 @@ class Transducer:
                     self.depths.append(depth)
             if self.merges.reachable(rank):
                 self.token_at[node] = rank
-        self.pairs = Table(lambda key: self.merges.may_follow(key >> 32, key & 0xFFFFFFFF), 1_000_000)
+        self.pairs = Table(lambda key: self.merges.may_follow(key >> 32, key & 0xFFFFFFFF), 400_000)
         self.moves = Table(lambda key: self._move(key >> 8, key & 255), 1 << 60)
         self.of_length = np.zeros(max(self.lengths, default=0) + 1, np.int64)
         for rank, n in self.lengths.items():
@@ -564,7 +564,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]):
         tokenizer = load(path, pattern)
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, 6 << 20):
                 made = tokenizer.encode_all(part.column(text_col))
                 yield part, {"tokens": made, "n_tokens": _n_tokens(made)}
 
@@ -603,7 +603,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]):
         tokenizer = load(path, pattern)
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, 6 << 20):
                 made = tokenizer.encode_all(part.column(text_col))
                 back = [digest(x) for x in streams(tokenizer, made, stride)]
                 ids = [hashlib.sha256(x.as_buffer()).hexdigest() for x in made]
