@@ -6,6 +6,8 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern import dialect
+from quern.operators.recursive import recursive_union
 from quern.session import configure
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,7 +31,7 @@ class Engine:
         return self
 
     def query(self, sql: str, *args, **named) -> DataFrame:
-        """A SELECT; ``?`` and ``:name`` take arguments."""
+        """A SELECT in the engine's dialect; ``?``, ``$1`` and ``:name`` take arguments."""
         words = {w.lower() for w in _words(sql)}
         for name in getattr(self, "names", ()):
             if name in words and name not in self.frames:
@@ -37,9 +39,32 @@ class Engine:
         for name, frame in self.frames.items():
             if name in words:
                 frame.createOrReplaceTempView(name)
-        if args or named:
-            return self.spark.sql(sql, args=list(args) if args else named)
-        return self.spark.sql(sql)
+        given: dict | list | None = named or list(args) or None
+        if args and "$" in sql and any(t.kind == "argument" for t in dialect.tokens(sql)):
+            given = {f"arg{k}": v for k, v in enumerate(args, 1)}
+        return self._planned(dialect.plain(sql), given)
+
+    def _planned(self, sql: str, given: dict | list | None) -> DataFrame:
+        """Spark's plan; a recursive table with UNION (distinct) is worked out first."""
+        found = dialect.recursive_tables(sql)
+        if found is None:
+            return dialect.planned(self.spark, sql, given)
+        tables, rest = found
+        for name, columns, body, parts in tables:
+            if parts is None:
+                frame = dialect.planned(self.spark, body, given)
+                frame = frame.toDF(*columns) if columns else frame
+            else:
+                anchor = dialect.planned(self.spark, parts[0], given)
+                anchor = anchor.toDF(*columns) if columns else anchor
+
+                def step(fresh: DataFrame, name: str = name, text: str = parts[1]) -> DataFrame:
+                    fresh.createOrReplaceTempView(name)
+                    return dialect.planned(self.spark, text, given)
+
+                frame = recursive_union(anchor, step)
+            frame.createOrReplaceTempView(name)
+        return dialect.planned(self.spark, rest, given)
 
 
 def _words(sql: str) -> list[str]:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern import dialect
+from quern.storage import open_fs
 from quern.tables.types import capacity, spark_type
 from quern.tables.versions import Conflict, VersionedTable
 
@@ -57,9 +61,36 @@ class TableDef:
         return T.StructType([T.StructField(c.name, c.type, True) for c in self.columns])
 
 
+class Catalog(dict):
+    """Definitions by name; a change is saved at once."""
+
+    def __init__(self, known: dict[str, TableDef], saved: Callable[[], None]):
+        super().__init__(known)
+        self._saved = saved
+
+    def __setitem__(self, key: str, value: TableDef) -> None:
+        super().__setitem__(key, value)
+        self._saved()
+
+    def __delitem__(self, key: str) -> None:
+        super().__delitem__(key)
+        self._saved()
+
+
+def _read_definition(raw: dict) -> TableDef:
+    return TableDef(
+        raw["name"], tuple(ColumnDef(**c) for c in raw["columns"]), tuple(raw["primary_key"]), tuple(map(tuple, raw["unique"])),
+        tuple(ForeignKey(tuple(f["columns"]), f["table"], tuple(f["references"]), f["name"]) for f in raw["foreign_keys"]), tuple(raw["checks"]),
+        tuple((n, tuple(c), u) for n, c, u in raw["indexes"]), raw["partition_column"],
+    )
+
+
 @dataclass
 class Database:
-    """Schemas of tables under one folder. Statements outside a transaction commit at once."""
+    """Schemas of tables under one folder. Statements outside a transaction commit at once.
+
+    Definitions and schemas are kept in a file of the folder, so a database opened again has them.
+    """
 
     spark: SparkSession
     path: str
@@ -68,6 +99,28 @@ class Database:
     current: str = "main"
     staged: dict[str, DataFrame] | None = None
     bases: dict[str, int] = field(default_factory=dict)
+    before: tuple[dict[str, TableDef], set[str]] | None = None
+
+    def __post_init__(self):
+        known = self.defs
+        if not known:
+            fs, path = open_fs(f"{self.path}/_catalog.json")
+            if fs.get_file_info(path).is_file:
+                with fs.open_input_file(path) as f:
+                    raw = json.loads(f.read())
+                known, self.schemas = {k: _read_definition(d) for k, d in raw["tables"].items()}, set(raw["schemas"])
+        self.defs = Catalog(known, self._save)
+
+    def _save(self) -> None:
+        """Write the catalog beside the old one, then put it in its place; a transaction's commit does so once."""
+        if self.staged is not None:
+            return
+        raw = {"schemas": sorted(self.schemas), "tables": {k: asdict(d) for k, d in self.defs.items()}}
+        fs, path = open_fs(f"{self.path}/_catalog.json")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(f"{path}.new") as f:
+            f.write(json.dumps(raw, default=str).encode())
+        fs.move(f"{path}.new", path)
 
     # ---- DDL ----
 
@@ -75,6 +128,7 @@ class Database:
         if name.lower() in self.schemas and not if_not_exists:
             raise ValueError(f"schema {name} exists")
         self.schemas.add(name.lower())
+        self._save()
 
     def use_schema(self, name: str) -> None:
         if name.lower() not in self.schemas:
@@ -97,8 +151,8 @@ class Database:
         for unique in (definition.primary_key, *definition.unique):
             if unique and definition.partition_column and definition.partition_column not in unique:
                 raise ValueError("a unique key must hold the partition column")
+        self._store(key).commit(self.spark.createDataFrame([], definition.schema))  # raises before anything is recorded
         self.defs[key] = definition
-        self._store(key).commit(self.spark.createDataFrame([], definition.schema))
 
     def drop_table(self, *names: str, if_exists: bool = False) -> None:
         for name in names:
@@ -193,13 +247,26 @@ class Database:
         """A SELECT over the tables."""
         from quern.sql import Engine
 
-        engine = Engine(self.spark)
+        engine, found = Engine(self.spark), dialect.tokens(sql)
+        words, edits = {t.text.lower() for t in found}, []
         for key in self.defs:
             schema, _, name = key.partition(".")
-            if schema == self.current:
+            if name in words and schema == self.current:
                 engine.register(name, self.table(key))
+            for k in range(len(found) - 2):
+                if [t.text.lower() for t in found[k : k + 3]] == [schema, ".", name] and (k == 0 or found[k - 1].text != "."):
+                    engine.register(f"{schema}__{name}", self.table(key))
+                    follows = found[k + 3] if k + 3 < len(found) else None
+                    edits.append((found[k].start, found[k + 2].end, name if follows and follows.text == "." else f"{schema}__{name}" if _aliased(follows) else f"{schema}__{name} AS {name}"))
+        for start, end, new in sorted(edits, reverse=True):
+            sql = sql[:start] + new + sql[end:]
         return engine.query(sql, *args, **named)
 
+    def _marked(self, name: str, where: str | None) -> str:
+        """SQL of a table's rows with __hit: whether the condition is true."""
+        short = self._key(name).partition(".")[2]
+        return f"(SELECT *, coalesce(({where or 'TRUE'}), FALSE) AS __hit FROM {name}) AS {short}"
+
     # ---- DML ----
 
     def insert(self, name: str, rows: DataFrame | list[tuple], columns: list[str] | None = None) -> int:
@@ -222,9 +289,11 @@ class Database:
 
     def update(self, name: str, changes: dict[str, Column | Any], where: Column | str | None = None) -> int:
         """SET column = expression of the old values; the number of rows changed."""
+        if isinstance(where, str):
+            where = F.expr(where)
         key = self._key(name)
         d, rows = self.defs[key], self.table(name)
-        hit = F.lit(True) if where is None else F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
+        hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
         kinds = {c.name: c.type for c in d.columns}
         unknown = set(changes) - set(kinds)
         if unknown:
@@ -238,6 +307,31 @@ class Database:
         self._write(key, made)
         return n
 
+    def update_text(self, name: str, changes: dict[str, str], where: str | None, *args: Any, **named: Any) -> int:
+        """UPDATE by SQL text, which may hold subqueries and arguments; the number of rows changed."""
+        key = self._key(name)
+        d = self.defs[key]
+        kinds = {c.name: c.type for c in d.columns}
+        if unknown := set(changes) - set(kinds):
+            raise ValueError(f"no column {', '.join(sorted(unknown))}")
+        # values come first, in the order of the statement, so that arguments keep theirs
+        values = [f"CASE WHEN __hit THEN CAST(({v}) AS {kinds[c].simpleString()}) ELSE {c} END AS {c}" for c, v in changes.items()]
+        marked = self.query(f"SELECT {', '.join([*values, *(c for c in kinds if c not in changes), '__hit'])} FROM {self._marked(name, where)}", *args, **named)
+        made = marked.select(*kinds)
+        self._check_rows(d, made)
+        self._check_foreign(d, made)
+        self._check_unique(d, made)
+        n = marked.filter("__hit").count()
+        self._write(key, made)
+        return n
+
+    def delete_text(self, name: str, where: str | None, *args: Any, **named: Any) -> int:
+        """DELETE by SQL text, which may hold subqueries and arguments; the number of rows removed."""
+        marked = self.query(f"SELECT * FROM {self._marked(name, where)}", *args, **named)
+        n = marked.filter("__hit").count()
+        self._write(self._key(name), marked.filter("NOT __hit").drop("__hit"))
+        return n
+
     def delete(self, name: str, where: Column | str | None = None) -> int:
         """Remove rows where the condition is true."""
         rows = self.table(name)
@@ -261,7 +355,7 @@ class Database:
     def begin(self) -> None:
         if self.staged is not None:
             raise ValueError("a transaction is open")
-        self.staged, self.bases = {}, {}
+        self.staged, self.bases, self.before = {}, {}, (dict(self.defs), set(self.schemas))
 
     def commit(self) -> None:
         """Publish staged tables; a table that another writer changed since it was read is a conflict."""
@@ -271,9 +365,17 @@ class Database:
                 raise Conflict(f"{key} changed since this transaction read it")
         for key, rows in staged.items():
             self._store(key).commit(rows, expected=self.bases[key])
+        self._save()
 
     def rollback(self) -> None:
-        self.staged = None
+        """Forget staged rows and definitions; tables made since then go."""
+        if self.staged is None:
+            return
+        self.staged, (known, self.schemas) = None, self.before
+        for key in set(self.defs) - set(known):
+            self._store(key).drop()
+        self.defs = Catalog(known, self._save)
+        self._save()
 
     # ---- constraints ----
 
@@ -329,6 +431,14 @@ class Database:
         return table_stats(self.table(name))
 
 
+def _aliased(token: dialect.Token | None) -> bool:
+    """Whether a table's name is followed by a name of its own."""
+    return token is not None and (token.up == "AS" or (token.kind in ("word", "quoted") and token.up not in _AFTER_TABLE))
+
+
+_AFTER_TABLE = frozenset("WHERE GROUP ORDER HAVING LIMIT OFFSET UNION INTERSECT EXCEPT JOIN INNER LEFT RIGHT FULL CROSS NATURAL ON USING SET".split())
+
+
 def foreign_key_violations(rows: DataFrame, columns: list[str], other: DataFrame, references: list[str]) -> DataFrame:
     """Rows whose key, all parts there, is not in the other table."""
     keys = other.select(*[F.col(r).alias(f"__r{i}") for i, r in enumerate(references)])

@@ -54,14 +54,16 @@ class VersionedTable:
         name = f"data-{uuid.uuid4().hex}"
         writer = frame.write.partitionBy(*partition_by) if partition_by else frame.write
         writer.parquet(f"{self.path}/{name}")
-        pointer = self._jvm.org.apache.hadoop.fs.Path(f"{self._root}/{base + 1:012d}.ref")
-        try:
-            out = self._fs.create(pointer, False)  # not over an existing one: the first committer wins
-        except Exception as e:
-            self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
-            raise Conflict(f"version {base + 1} of {self.path} exists") from e
+        path = self._jvm.org.apache.hadoop.fs.Path
+        pointer, made = path(f"{self._root}/{base + 1:012d}.ref"), path(f"{self._root}/{name}.new")
+        out = self._fs.create(made, False)
         out.write(bytearray(name.encode()))
         out.close()
+        # a whole pointer takes its place at once, and not over an existing one: the first committer wins
+        if self._fs.exists(pointer) or not self._fs.rename(made, pointer):
+            self._fs.delete(made, False)
+            self._fs.delete(path(f"{self.path}/{name}"), True)
+            raise Conflict(f"version {base + 1} of {self.path} exists")
         return base + 1
 
     def drop(self) -> None:

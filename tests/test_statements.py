@@ -39,3 +39,29 @@ def test_script(spark, tmp_path):
     shell.execute("DROP TABLE IF EXISTS copied, missing")
     with pytest.raises(ValueError):
         shell.execute("SHOW nothing")
+
+
+def test_changes_with_subqueries_arguments_and_quotes(spark):
+    shell = Shell(Database(spark, new_dir(spark, "shell")))
+    shell.script("CREATE TABLE a (id INT PRIMARY KEY, v INT, s TEXT); CREATE TABLE b (k INT); INSERT INTO a VALUES (1, 10, 'x'), (2, 20, 'y'), (3, NULL, 'z'); INSERT INTO b VALUES (2), (3)")
+    assert shell.execute("UPDATE a SET v = (SELECT max(k) FROM b) + id, s = 'a where b' WHERE id IN (SELECT k FROM b)") == 2
+    assert sorted(tuple(r) for r in shell.execute("SELECT * FROM a").collect()) == [(1, 10, "x"), (2, 5, "a where b"), (3, 6, "a where b")]
+    assert shell.execute("UPDATE a SET v = ? WHERE id = ?", 7, 1) == 1 and shell.execute("UPDATE a SET v = $2 / 2 WHERE id = $1", 2, 7) == 1
+    assert sorted(r.v for r in shell.execute("SELECT v FROM main.a").collect()) == [3, 6, 7]
+    assert shell.execute("DELETE FROM a WHERE EXISTS (SELECT 1 FROM b WHERE k = a.id) AND v > :least", least=5) == 1
+    assert shell.execute("SELECT count(*) AS n FROM a").first().n == 2
+
+
+def test_definitions_stay_and_failures_leave_nothing(spark):
+    path = new_dir(spark, "kept")
+    shell = Shell(Database(spark, path))
+    shell.script("CREATE TABLE a (id INT PRIMARY KEY, v DOUBLE DEFAULT 1.5); CREATE SCHEMA other; INSERT INTO a (id) VALUES (1)")
+    with pytest.raises(ValueError):
+        shell.execute("CREATE TABLE bad (id NOTYPE)")
+    assert shell.execute("SELECT 1 AS one").first().one == 1
+    again = Shell(Database(spark, path))
+    assert again.execute("SELECT v FROM a").first().v == 1.5 and again.db.schemas == {"main", "other"}
+    with pytest.raises(ConstraintError):
+        again.execute("INSERT INTO a (id) VALUES (1)")
+    again.script("BEGIN; CREATE TABLE c (id INT); DELETE FROM a; ROLLBACK")
+    assert [r.name for r in again.execute("SHOW TABLES").collect()] == ["a"] and again.execute("SELECT count(*) AS n FROM a").first().n == 1
