@@ -431,3 +431,32 @@ both("ref_in", "SELECT count(*) AS n, sum(o_totalprice) AS s FROM orders WHERE o
 both("ref_exists", "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 both("ref_not_exists", "SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 both("ref_totals", "SELECT count(*) AS n, sum(l_quantity) AS q, sum(l_extendedprice) AS p FROM lineitem")
+
+
+# ---- the dialect, as text ----
+
+both("p12_division_text", "SELECT o_orderkey, o_custkey // 7 AS a, (o_orderkey - 40) // 8 AS b, CAST(o_totalprice AS DOUBLE) / o_custkey AS c FROM orders WHERE o_custkey // 2 > 100", "SELECT o_orderkey, o_custkey / 7 AS a, (o_orderkey - 40) / 8 AS b, o_totalprice / o_custkey AS c FROM orders WHERE o_custkey / 2 > 100")
+both("p10_like_text", "SELECT n_name, concat(n_name, '\\x') LIKE '%\\x' AS a, n_name ILIKE '%AN%' AS b FROM nation", "SELECT n_name, concat(n_name, '\\x') LIKE '%\\x' AS a, n_name ILIKE '%AN%' AS b FROM nation")
+both("o01_order_text", "SELECT k FROM (SELECT nullif(n_regionkey, 2) AS k, n_nationkey FROM nation) q ORDER BY k ASC NULLS LAST, n_nationkey LIMIT 22", "SELECT k FROM (SELECT nullif(n_regionkey, 2) AS k, n_nationkey FROM nation) q ORDER BY k, n_nationkey LIMIT 22")
+both("p05_exact_text", "SELECT count(*) AS n, CAST(sum(CASE WHEN k <> 5 THEN 1 ELSE 0 END) AS BIGINT) AS m FROM (SELECT o_orderkey AS k, CAST(o_orderkey + (o_orderkey % 2) * 0.5 AS DOUBLE) AS d FROM orders) q WHERE k % 2 = 0", "SELECT count(*) AS n, sum(CASE WHEN k <> 5 THEN 1 ELSE 0 END) AS m FROM (SELECT o_orderkey AS k, CAST(o_orderkey + (o_orderkey % 2) * 0.5 AS DOUBLE) AS d FROM orders) q WHERE k = d")
+both("p15_all_text", "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT max(s_acctbal) FROM supplier)", "SELECT c_custkey FROM customer WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier)")
+both("p15_any_text", "SELECT c_custkey FROM customer WHERE c_acctbal < (SELECT max(s_acctbal) FROM supplier) AND c_nationkey IN (SELECT s_nationkey FROM supplier)", "SELECT c_custkey FROM customer WHERE c_acctbal < ANY (SELECT s_acctbal FROM supplier) AND c_nationkey = SOME (SELECT s_nationkey FROM supplier)")
+both("j09_full_using_text", "SELECT r.r_regionkey AS a, n.r_regionkey AS b, n.n_name FROM (SELECT r_regionkey FROM region WHERE r_regionkey > 1) r FULL JOIN (SELECT n_regionkey AS r_regionkey, n_name FROM nation) n ON r.r_regionkey = n.r_regionkey", "SELECT r.r_regionkey AS a, n.r_regionkey AS b, n.n_name FROM (SELECT r_regionkey FROM region WHERE r_regionkey > 1) r FULL JOIN (SELECT n_regionkey AS r_regionkey, n_name FROM nation) n USING (r_regionkey)")
+both("c02_recursive_union_text", "WITH RECURSIVE walk(k) AS (SELECT 1 AS k UNION SELECT (k * 7) % 25 FROM walk) SELECT k, n_name FROM walk JOIN nation ON n_nationkey = k", "WITH RECURSIVE walk(k) AS (SELECT 1 AS k UNION SELECT (k * 7) % 25 FROM walk) SELECT k, n_name FROM walk JOIN nation ON n_nationkey = k")
+both("s10_no_from_text", "SELECT 1 AS one, 'a' AS two")
+both("o09_order_from_key", "SELECT o_orderkey FROM orders ORDER BY o_orderkey")
+both("s09_derived_source", "SELECT k, n FROM (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey) q WHERE n > 1")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey = 12 OR o_custkey = 15")
+def p16_numbered_text(spark, sf):
+    from quern.sql import Engine
+
+    return Engine(spark).with_tables(sf).query("SELECT o_orderkey FROM orders WHERE o_custkey = $2 OR o_custkey = $1", 15, 12)
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS n FROM (SELECT 1 AS g, count(*) AS n FROM nation) q GROUP BY g")
+def a12_ordinal_is_a_constant(spark, sf):
+    from quern.sql import Engine
+
+    return Engine(spark).with_tables(sf).query("SELECT count(*) AS n FROM nation GROUP BY 1")

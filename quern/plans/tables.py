@@ -91,6 +91,45 @@ def s19_delete(spark, sf):
     return db.table("nation").select("n_nationkey")
 
 
+def _nation_shell(spark: SparkSession, sf: str):
+    from quern.statements import Shell
+
+    return Shell(_nation_database(spark, sf))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') THEN 'a where b' ELSE 'none' END AS note, CAST(CASE WHEN n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') THEN (SELECT max(r_regionkey) FROM region) ELSE n_regionkey END AS BIGINT) AS n_regionkey FROM nation")
+def s18_update_subquery(spark, sf):
+    shell = _nation_shell(spark, sf)
+    shell.execute("UPDATE nation SET note = 'a where b', n_regionkey = (SELECT max(r_regionkey) FROM region) WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE ?)", "A%")
+    return shell.execute("SELECT n_nationkey, note, n_regionkey FROM main.nation")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation n WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND r_regionkey > 2)")
+def s19_delete_subquery(spark, sf):
+    shell = _nation_shell(spark, sf)
+    shell.execute("DELETE FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND r_regionkey > ?)", 2)
+    return shell.execute("SELECT n_nationkey FROM nation")
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def t02_reopened_database(spark, sf):
+    return Database(spark, _nation_database(spark, sf).path).table("region")
+
+
+@query("SELECT count(*) AS n FROM nation")
+def t11_rollback(spark, sf):
+    shell = _nation_shell(spark, sf)
+    shell.script("BEGIN; DELETE FROM nation WHERE n_regionkey = 1; CREATE TABLE more (id INT); ROLLBACK")
+    return shell.execute("SELECT count(*) AS n FROM nation")
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey FROM region")
+def t06_rename_table(spark, sf):
+    shell = _nation_shell(spark, sf)
+    shell.script("DROP TABLE nation; ALTER TABLE region RENAME TO area; CREATE UNIQUE INDEX by_name ON area (r_name)")
+    return shell.execute("SELECT r_regionkey FROM area")
+
+
 @query("SELECT CAST(0 AS BIGINT) AS n")
 def s20_truncate(spark, sf):
     db = _nation_database(spark, sf)

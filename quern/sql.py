@@ -39,32 +39,29 @@ class Engine:
         for name, frame in self.frames.items():
             if name in words:
                 frame.createOrReplaceTempView(name)
-        given: dict | list | None = named or list(args) or None
-        if args and "$" in sql and any(t.kind == "argument" for t in dialect.tokens(sql)):
-            given = {f"arg{k}": v for k, v in enumerate(args, 1)}
-        return self._planned(dialect.plain(sql), given)
+        return self._planned(dialect.bound(dialect.plain(sql), list(args), named))
 
-    def _planned(self, sql: str, given: dict | list | None) -> DataFrame:
+    def _planned(self, sql: str) -> DataFrame:
         """Spark's plan; a recursive table with UNION (distinct) is worked out first."""
         found = dialect.recursive_tables(sql)
         if found is None:
-            return dialect.planned(self.spark, sql, given)
+            return dialect.planned(self.spark, sql)
         tables, rest = found
         for name, columns, body, parts in tables:
             if parts is None:
-                frame = dialect.planned(self.spark, body, given)
+                frame = dialect.planned(self.spark, body)
                 frame = frame.toDF(*columns) if columns else frame
             else:
-                anchor = dialect.planned(self.spark, parts[0], given)
+                anchor = dialect.planned(self.spark, parts[0])
                 anchor = anchor.toDF(*columns) if columns else anchor
 
                 def step(fresh: DataFrame, name: str = name, text: str = parts[1]) -> DataFrame:
                     fresh.createOrReplaceTempView(name)
-                    return dialect.planned(self.spark, text, given)
+                    return dialect.planned(self.spark, text)
 
                 frame = recursive_union(anchor, step)
             frame.createOrReplaceTempView(name)
-        return dialect.planned(self.spark, rest, given)
+        return dialect.planned(self.spark, rest)
 
 
 def _words(sql: str) -> list[str]:

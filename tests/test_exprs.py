@@ -54,3 +54,18 @@ def test_range_join_left(spark):
 
 def test_group_by_number_is_a_constant(spark, sf):
     assert Engine(spark).with_tables(sf).query("SELECT count(*) AS n FROM nation GROUP BY 1").first().n == 25
+
+
+def test_dialect_text(spark):
+    from quern import dialect
+    from quern.sql import Engine
+
+    e = Engine(spark).register("t", spark.createDataFrame([(1, None, 2.5, "a\\b"), (7, 2, 0.0, "it's")], "a int, b bigint, d double, s string"))
+    one = lambda q, *args, **named: [tuple(r) for r in e.query(q, *args, **named).collect()]
+    assert one("SELECT 7/2 AS x, -7/2 AS y, 7/2/2 AS z, 7/2.0 AS w, a/d AS i FROM t") == [(3, -3, 1, 3.5, 0.4), (3, -3, 1, 3.5, float("inf"))]
+    assert one("SELECT b FROM t ORDER BY b") == one("SELECT b FROM t ORDER BY b DESC") == [(2,), (None,)]
+    assert one("SELECT s FROM t WHERE s LIKE ?", "a\\%") == [("a\\b",)] and one("SELECT s FROM t WHERE s = :v", v="it's") == [("it's",)]
+    assert one("SELECT 9007199254740993 = d AS x, 9007199254740993 > d AS y FROM (SELECT CAST(9007199254740992 AS DOUBLE) AS d)") == [(False, True)]
+    assert one("SELECT a FROM t WHERE a > ALL (SELECT b FROM t WHERE b IS NOT NULL)") == [(7,)] and one("SELECT a > ALL (SELECT b FROM t) AS x FROM t ORDER BY a") == [(False,), (None,)]
+    assert dialect.plain("SELECT 'ORDER BY x' -- ORDER BY y") == "SELECT 'ORDER BY x' -- ORDER BY y"
+    assert dialect.literal(-3) == "(-3)" and dialect.literal(None) == "NULL" and dialect.literal("o'k") == "'o''k'"
