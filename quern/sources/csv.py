@@ -62,8 +62,12 @@ def _rows(lines: DataFrame, n: int) -> DataFrame:
 def load_lines(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows of text lines (column value, no header) by position: those that fit, and those that don't
     (their cells as text)."""
+    return load_cells(_rows(lines, len(schema.fields)), schema)
+
+
+def load_cells(cells: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The same from cells c0, c1, ... as text, one column more than the schema has."""
     n = len(schema.fields)
-    cells = _rows(lines, n)
     parts = [_cell(F.col(f"c{i}"), f.dataType) for i, f in enumerate(schema.fields)]
     bad = F.col(f"c{n}").isNotNull()
     for i, f in enumerate(schema.fields):
@@ -78,21 +82,21 @@ def _all_nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def _without_header(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    head = [r.value for r in spark.read.text(path).limit(SAMPLE_ROWS + 1).collect()]
-    lines = spark.read.text(path).filter(F.col("value") != F.lit(head[0])) if head else spark.read.text(path)
-    return lines, head
+def _cells(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The cells of files, each without its first row; quoted cells may hold line breaks."""
+    names = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n + 1)])
+    return spark.read.schema(names).csv(path, header=True, multiLine=True, enforceSchema=True, escape='"', quote='"', mode="PERMISSIVE")
 
 
 def copy_into(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """COPY INTO: the file's first line is skipped and cells are taken by position."""
-    return load_lines(_without_header(spark, path)[0], schema)
+    """COPY INTO: the file's first row is skipped and cells are taken by position. Blank lines are no rows."""
+    return load_cells(_cells(spark, path, len(schema.fields)), schema)
 
 
 def create_as_copy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """CREATE TABLE AS COPY: the schema comes from the header and the first rows."""
-    lines, head = _without_header(spark, path)
-    return load_lines(lines, _all_nullable(infer_schema(head)))
+    head = [r.value for r in spark.read.text(path).limit(SAMPLE_ROWS + 1).collect()]
+    return copy_into(spark, path, _all_nullable(infer_schema(head)))
 
 
 def from_text(spark: SparkSession, text: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:

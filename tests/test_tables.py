@@ -103,3 +103,14 @@ def test_types():
     assert capacity("varchar(7)") == 7 and capacity("CHAR") == 32 and capacity("TEXT") is None
     with pytest.raises(ValueError):
         spark_type("blobby")
+
+
+def test_csv_files_keep_rows_like_the_header_and_line_breaks(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from quern.sources.csv import copy_into
+
+    path = tmp_path / "rows.csv"
+    path.write_text('a,b\n1,x\na,b\n2,"two\nlines"\n3,y\n4,p,q\n')
+    good, bad = copy_into(spark, str(path), T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
+    assert sorted((r.a, r.b) for r in good.collect()) == [("1", "x"), ("2", "two\nlines"), ("3", "y"), ("a", "b")] and bad.count() == 1
