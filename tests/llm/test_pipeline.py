@@ -5,7 +5,7 @@ import tiktoken
 
 import corpus_pipeline
 from quern.llm import bpe
-from tests.llm import test_decontaminate, test_line_dedup, test_quality_rules, test_simhash_dedup
+from tests.llm import test_decontaminate, test_jaccard_dedup, test_line_dedup, test_quality_rules
 
 
 def test_pipeline_against_plain_versions(spark, sf):
@@ -17,7 +17,7 @@ def test_pipeline_against_plain_versions(spark, sf):
     rows = sorted(first.items())
     texts = {d: x[2] for d, x in test_line_dedup.brute(rows).items()}
     ids = list(texts)
-    groups = test_simhash_dedup.plain_components(ids, [test_simhash_dedup.plain_fingerprint(texts[i]) for i in ids])
+    groups = test_jaccard_dedup.plain_components(list(texts.items()))
     texts = {i: texts[i] for i, g in zip(ids, groups) if i == g}
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
 
