@@ -239,7 +239,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     archives, uri = archive_pages(pages)
     dealt = archives.repartition(max(1, spark.sparkContext.defaultParallelism), "archive")
-    return read_archives(dealt, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
+    return read_archives(dealt, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-SQL = None
+SQL = """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM payloads)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM firsts
+"""

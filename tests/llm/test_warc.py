@@ -50,3 +50,16 @@ def test_inflater_reads_one_stream_and_many_members():
         while (r := warc.read_record(stream)) is not None:
             found.append(r[0]["warc-page-id"])
         assert found == [str(i) for i in range(50)]
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
+    cursor = con.execute(warc.SQL)
+    names = [d[0] for d in cursor.description]
+    frame = warc.op1_warc(spark, sf)
+    assert sorted(frame.columns) == sorted(names)
+    assert sorted(tuple(r) for r in frame.select(*names).collect()) == sorted(cursor.fetchall())
