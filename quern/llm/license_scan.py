@@ -1,9 +1,16 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates, in DataFrame functions only.
 
-A text's segments are its sentences, lines, paragraphs and the whole of it. A segment is normalised
-(lower case, everything but letters and digits is a break) and its distinct word bigrams are compared
-with those of each template: 2 |A and B| / (|A| + |B|). At a threshold t the sizes must satisfy
-t / (2 - t) <= |A| / |B| <= (2 - t) / t, which prunes most templates before any bigram is compared.
+A text's segments are its sentences, lines, paragraphs, the whole of it, and runs of its words, so that a
+licence is found wherever it stands in a longer text and however it is broken into lines and paragraphs.
+A segment is normalised (lower case, everything but letters and digits is a break) and its distinct word
+bigrams are compared with those of each template: 2 |A and B| / (|A| + |B|). At a threshold t the sizes
+must satisfy t / (2 - t) <= |A| / |B| <= (2 - t) / t, which prunes most templates before any bigram is compared.
+
+Runs are looked for under templates of which the text holds t / (2 - t) of the bigrams, as fewer cannot
+match. The places of a template's bigrams in the text form stretches; a run goes from the start of a stretch
+to the end of that or a later one, over (2 - t) / t |B| bigrams at most. Longer or shorter runs that end
+between stretches are no better: adding a bigram of the template never lowers the coefficient. A run is
+reported by its normalised words.
 
 The same bound says how many of a template's bigrams a match may lack, so each template yields a few
 words of which every match holds at least one; a text without any of them is done after one regular
@@ -20,6 +27,7 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +88,42 @@ def _grams(segment: Column) -> Column:
     return F.get(own, F.lit(0))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(words: Column, known: Column, threshold: float) -> Column:
+    """Runs of a text's words that match a template: array of dice, license, segment."""
+    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+
+    def matched(grams: Column, x: Column) -> Column:
+        need, length = F.ceil(x["size"] * least - 1e-9), F.floor(x["size"] * most + 1e-9)
+        places = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.array_contains(x["grams"], F.get(grams, i)))
+        # place and rank among the places
+        firsts = lambda at: F.filter(F.transform(at, lambda p, k: F.when((k == 0) | (F.get(at, k - 1) < p - 1), F.struct(p.alias("p"), k.alias("k")))), lambda s: s.isNotNull())
+        lasts = lambda at: F.filter(F.transform(at, lambda p, k: F.when((k == F.size(at) - 1) | (F.get(at, k + 1) > p + 1), F.struct(p.alias("p"), k.alias("k")))), lambda s: s.isNotNull())
+
+        def scored(s: Column, e: Column) -> Column:
+            own = F.array_distinct(F.slice(grams, s["p"] + 1, e["p"] - s["p"] + 1))
+            dice = _let(own, lambda a: F.size(F.array_intersect(a, x["grams"])) * 2.0 / (F.size(a) + x["size"]))
+            return F.struct(dice.alias("dice"), s["p"].alias("p"), e["p"].alias("q"))
+
+        def from_start(starts: Column, ends: Column) -> Column:
+            near = lambda s, k: F.filter(F.slice(ends, k + 1, length.cast("int") + 1), lambda e: (e["p"] - s["p"] < length) & (e["k"] - s["k"] + 1 >= need))
+            return F.array_max(F.transform(starts, lambda s, k: F.array_max(F.transform(near(s, k), lambda e: scored(s, e)))))
+
+        best = _let(places, lambda at: _let(firsts(at), lambda starts: _let(lasts(at), lambda ends: from_start(starts, ends))))
+        return _let(best, lambda b: F.when(b["dice"] >= threshold - 1e-9, F.struct(b["dice"].alias("dice"), x["name"].alias("license"), F.array_join(F.slice(words, b["p"] + 1, b["q"] - b["p"] + 2), " ").alias("segment"))))
+
+    def of_text(grams: Column) -> Column:
+        likely = _let(F.array_distinct(grams), lambda a: F.filter(known, lambda x: F.size(F.array_intersect(a, x["grams"])) >= x["size"] * least - 1e-9))
+        return F.filter(F.transform(likely, lambda x: matched(grams, x)), lambda r: r.isNotNull())
+
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    return F.when(F.size(words) > 1, _let(grams, of_text))
+
+
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """``docs`` with licenses (array of license, dice, segment; one per license, best first); it wins over a column of that name."""
     grams = {name: plain_bigrams(text) for name, text in sorted((TEMPLATES if templates is None else templates).items())}
@@ -94,7 +138,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
     text = F.col(text_col)
     parts = F.concat(F.split(text, "\n"), F.split(text, r"(?<=[.!?])\s+|\n"), F.split(text, r"\n\s*\n"), F.array(text))
     parts = F.filter(F.array_distinct(parts), lambda s: s.rlike(hit))
-    rows = docs.select(F.struct("*").alias("__row"), F.when(text.rlike(hit), F.transform(parts, lambda s: F.struct(F.trim(s).alias("segment"), _grams(s).alias("grams")))).alias("__parts"))
+    rows = docs.select(F.struct("*").alias("__row"), F.when(text.rlike(hit), F.transform(parts, lambda s: F.struct(F.trim(s).alias("segment"), _grams(s).alias("grams")))).alias("__parts"), F.when(text.rlike(hit), F.filter(F.split(F.lower(text), _BREAK), lambda w: w != "")).alias("__words"))
 
     def matches(s: Column) -> Column:
         size = F.size(s["grams"])
@@ -104,7 +148,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
 
     rows = rows.withColumn("__known", known)
     found = F.flatten(F.transform(F.filter("__parts", lambda s: s["grams"].isNotNull()), matches))
-    rows = rows.withColumn("__found", F.coalesce(found, F.array().cast("array<struct<dice:double,license:string,segment:string>>")))
+    empty = F.array().cast("array<struct<dice:double,license:string,segment:string>>")
+    rows = rows.withColumn("__found", F.concat(F.coalesce(found, empty), F.coalesce(_runs(F.col("__words"), F.col("__known"), t), empty)))
     best = F.transform(
         F.array_distinct(F.transform("__found", lambda x: x["license"])),
         lambda n: F.array_max(F.transform(F.filter("__found", lambda x: x["license"] == n), lambda x: F.struct(x["dice"], x["license"], x["segment"]))),
