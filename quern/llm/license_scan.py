@@ -81,23 +81,26 @@ def needed_words(bigrams: set[tuple[str, str]], threshold: float) -> set[str]:
     return chosen
 
 
-def _grams(segment: Column) -> Column:
-    words = F.filter(F.split(F.lower(segment), _BREAK), lambda w: w != "")
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
-    own = F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, F.array_distinct(pairs(w))))
-    return F.get(own, F.lit(0))
-
-
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with the value made once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _runs(words: Column, known: Column, threshold: float) -> Column:
-    """Runs of a text's words that match a template: array of dice, license, segment."""
+def _pairs(words: Column) -> Column:
+    """The bigrams of two words or more, in order."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+
+
+def _grams(segment: Column) -> Column:
+    words = F.filter(F.split(F.lower(segment), _BREAK), lambda w: w != "")
+    return _let(words, lambda w: F.when(F.size(w) > 1, F.array_distinct(_pairs(w))))
+
+
+def _runs(words: Column, grams: Column, known: Column, least_needed: int, threshold: float) -> Column:
+    """Runs of a text's words that match a template: array of dice, license, segment. ``least_needed``: bigrams of templates that any match holds."""
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
 
-    def matched(grams: Column, x: Column) -> Column:
+    def matched(x: Column) -> Column:
         need, length = F.ceil(x["size"] * least - 1e-9), F.floor(x["size"] * most + 1e-9)
         places = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.array_contains(x["grams"], F.get(grams, i)))
         # place and rank among the places
@@ -116,12 +119,11 @@ def _runs(words: Column, known: Column, threshold: float) -> Column:
         best = _let(places, lambda at: _let(firsts(at), lambda starts: _let(lasts(at), lambda ends: from_start(starts, ends))))
         return _let(best, lambda b: F.when(b["dice"] >= threshold - 1e-9, F.struct(b["dice"].alias("dice"), x["name"].alias("license"), F.array_join(F.slice(words, b["p"] + 1, b["q"] - b["p"] + 2), " ").alias("segment"))))
 
-    def of_text(grams: Column) -> Column:
-        likely = _let(F.array_distinct(grams), lambda a: F.filter(known, lambda x: F.size(F.array_intersect(a, x["grams"])) >= x["size"] * least - 1e-9))
-        return F.filter(F.transform(likely, lambda x: matched(grams, x)), lambda r: r.isNotNull())
+    def of_own(own: Column) -> Column:
+        likely = F.filter(known, lambda x: F.size(F.array_intersect(own, x["grams"])) >= x["size"] * least - 1e-9)
+        return F.when(F.size(own) >= least_needed, F.filter(F.transform(likely, matched), lambda r: r.isNotNull()))
 
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.when(F.size(words) > 1, _let(grams, of_text))
+    return _let(F.array_intersect(grams, F.col("__all")), of_own)
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -136,9 +138,14 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
     t, none = threshold, F.array().cast("array<struct<license:string,dice:double,segment:string>>")
 
     text = F.col(text_col)
-    parts = F.concat(F.split(text, "\n"), F.split(text, r"(?<=[.!?])\s+|\n"), F.split(text, r"\n\s*\n"), F.array(text))
-    parts = F.filter(F.array_distinct(parts), lambda s: s.rlike(hit))
-    rows = docs.select(F.struct("*").alias("__row"), F.when(text.rlike(hit), F.transform(parts, lambda s: F.struct(F.trim(s).alias("segment"), _grams(s).alias("grams")))).alias("__parts"), F.when(text.rlike(hit), F.filter(F.split(F.lower(text), _BREAK), lambda w: w != "")).alias("__words"))
+    rows = docs.select(F.struct("*").alias("__row"), F.when(text.rlike(hit), F.filter(F.split(F.lower(text), _BREAK), lambda w: w != "")).alias("__words"))
+    rows = rows.withColumn("__grams", F.when(F.size("__words") > 1, _pairs(F.col("__words"))))
+    text = F.col("__row")[text_col]
+    parts = F.concat(F.split(text, "\n"), F.split(text, r"(?<=[.!?])\s+|\n"), F.split(text, r"\n\s*\n"))
+    parts = F.filter(F.array_distinct(parts), lambda s: (s != text) & s.rlike(hit))
+    parts = F.transform(parts, lambda s: F.struct(F.trim(s).alias("segment"), _grams(s).alias("grams")))
+    whole = F.struct(F.trim(text).alias("segment"), F.array_distinct("__grams").alias("grams"))
+    rows = rows.withColumn("__parts", F.when(F.col("__words").isNotNull(), F.concat(parts, F.array(whole))))
 
     def matches(s: Column) -> Column:
         size = F.size(s["grams"])
@@ -146,10 +153,12 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
         scored = F.transform(near, lambda x: F.struct((F.size(F.array_intersect(s["grams"], x["grams"])) * 2.0 / (size + x["size"])).alias("dice"), x["name"].alias("license"), s["segment"].alias("segment")))
         return F.filter(scored, lambda x: x["dice"] >= t - 1e-9)
 
-    rows = rows.withColumn("__known", known)
+    every = F.array(*[F.lit(g) for g in sorted({" ".join(p) for g in grams.values() for p in g})])
+    least_needed = min(math.ceil(len(g) * t / (2 - t) - 1e-9) for g in grams.values())
+    rows = rows.withColumn("__known", known).withColumn("__all", every)
     found = F.flatten(F.transform(F.filter("__parts", lambda s: s["grams"].isNotNull()), matches))
     empty = F.array().cast("array<struct<dice:double,license:string,segment:string>>")
-    rows = rows.withColumn("__found", F.concat(F.coalesce(found, empty), F.coalesce(_runs(F.col("__words"), F.col("__known"), t), empty)))
+    rows = rows.withColumn("__found", F.concat(F.coalesce(found, empty), F.coalesce(_runs(F.col("__words"), F.col("__grams"), F.col("__known"), least_needed, t), empty)))
     best = F.transform(
         F.array_distinct(F.transform("__found", lambda x: x["license"])),
         lambda n: F.array_max(F.transform(F.filter("__found", lambda x: x["license"] == n), lambda x: F.struct(x["dice"], x["license"], x["segment"]))),
