@@ -8,6 +8,7 @@ halves. For each half the anchors are the words of a covering code: a Hamming co
 covering radius 1), the 32nd bit free. A fingerprint is sent to every anchor within covering radius
 plus threshold, 1 + 1 = 2, of its half: 17 of 2^27 anchors, or 2 if the half is itself a code word. The
 anchor nearest to one of a pair of halves one bit apart is within 2 of the other, so they meet there.
+For four or five bits there are three parts, each with a Hamming code on 15 bits and the others free.
 
 Comparison. Only distinct fingerprints are sent, so exact copies cost nothing. Anchors with more than
 ``cell`` fingerprints are split in chunks, and each pair of chunks is compared in a group of its own, so
@@ -34,7 +35,6 @@ from quern.llm.common import pieces, text_bytes
 from quern.llm.graph import components
 from quern.storage import materialize
 
-_HALF, _FREE = np.uint64(0xFFFFFFFF), np.uint64(1 << 31)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -77,33 +77,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def _flips() -> tuple[np.ndarray, np.ndarray]:
-    """By syndrome: the 16 masks that lead to the code words within 2 (one bit, or two), and how many hold."""
-    masks = np.zeros((32, 16), np.uint64)
-    for s in range(1, 32):
-        pairs = [(i, j) for i, j in combinations(range(1, 32), 2) if i ^ j == s]
+def _code(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the Hamming code on ``bits`` bits: by syndrome the masks that lead to the code words within 2 (one bit, or two), how many hold, and the checks."""
+    masks = np.zeros((bits + 1, (bits + 1) // 2), np.uint64)
+    for s in range(1, bits + 1):
+        pairs = [(i, j) for i, j in combinations(range(1, bits + 1), 2) if i ^ j == s]
         masks[s] = [1 << (s - 1), *((1 << (i - 1)) | (1 << (j - 1)) for i, j in pairs)]
-    return masks, np.array([1] + [16] * 31)
+    checks = [sum(1 << (i - 1) for i in range(1, bits + 1) if i >> b & 1) for b in range(bits.bit_length())]
+    return masks, np.array([1] + [(bits + 1) // 2] * bits), np.array(checks, np.uint64)
 
 
-_MASKS, _N_MASKS = _flips()
-_CHECKS = np.array([sum(1 << (i - 1) for i in range(1, 32) if i >> b & 1) for b in range(5)], np.uint64)
+_CODES = {bits: _code(bits) for bits in (31, 15)}
+#: By the number of parts: the bits of each.
+_WIDTHS = {2: (32, 32), 3: (22, 21, 21)}
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every (anchor, index into fps) of the fingerprints; an anchor also says which half it is of."""
-    out, index = [], []
-    for half in range(2):
-        x = (fps >> np.uint64(32 * half)) & _HALF
+def anchors(fps: np.ndarray, parts: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Every (anchor, index into fps) of the fingerprints; an anchor also says which part it is of."""
+    out, index, low = [], [], 0
+    for k, width in enumerate(_WIDTHS[parts]):
+        bits = 31 if width >= 31 else 15
+        masks, n_masks, checks = _CODES[bits]
+        x = (fps >> np.uint64(low)) & np.uint64((1 << width) - 1)
+        low += width
         syndrome = np.zeros(len(x), np.int64)
-        for b in range(5):
-            syndrome |= (np.bitwise_count(x & _CHECKS[b]).astype(np.int64) & 1) << b
-        near = x[:, None] ^ _MASKS[syndrome]
-        valid = np.arange(16) < _N_MASKS[syndrome][:, None]
-        words = np.concatenate([near, (near[:, 0] ^ _FREE)[:, None]], axis=1)  # the nearest one with the free bit turned
-        valid = np.concatenate([valid, np.ones((len(x), 1), bool)], axis=1)
+        for b, check in enumerate(checks):
+            syndrome |= (np.bitwise_count(x & check).astype(np.int64) & 1) << b
+        near = x[:, None] ^ masks[syndrome]
+        valid = np.arange(masks.shape[1]) < n_masks[syndrome][:, None]
+        free = np.array([1 << b for b in range(bits, width)], np.uint64)
+        words = np.concatenate([near, near[:, :1] ^ free], axis=1)  # the nearest one with a free bit turned
+        valid = np.concatenate([valid, np.ones((len(x), len(free)), bool)], axis=1)
         row, col = np.nonzero(valid)
-        out.append(words[row, col] | np.uint64(half << 32))
+        out.append(words[row, col] | np.uint64(k << 32))
         index.append(row)
     return np.concatenate(out).astype(np.int64), np.concatenate(index)
 
@@ -160,18 +166,19 @@ def _compare(limit: int):
 def links(fps: DataFrame, limit: int = 3, cell: int = 4096) -> DataFrame:
     """Edges (a, b) whose components are those of all fingerprints within ``limit`` bits.
 
-    ``fps``: distinct fingerprints in a long column fp. ``limit`` is at most 3: the anchors' halves
-    leave one bit to each.
+    ``fps``: distinct fingerprints in a long column fp. ``limit`` is at most 5: the anchors' halves
+    or thirds leave one bit to each.
     """
-    if not 0 <= limit <= 3:
-        raise ValueError("the anchors are for thresholds of 0 to 3 bits")
+    if not 0 <= limit <= 5:
+        raise ValueError("the anchors are for thresholds of 0 to 5 bits")
+    parts = 2 if limit <= 3 else 3
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("fp").to_numpy().view(np.uint64)
             for k in range(0, len(own), 20_000):
                 part = own[k : k + 20_000]
-                anchor, index = anchors(part)
+                anchor, index = anchors(part, parts)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[index].view(np.int64))], names=["k1", "fp"])
 
     sent = fps.select("fp").mapInArrow(send, "k1 long, fp long")

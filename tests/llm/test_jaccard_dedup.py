@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quern.llm import jaccard_dedup as j
+from quern.llm.simhash_dedup import anchors
 
 
 def plain_components(rows, width=5, similarity=0.8):
@@ -56,3 +59,26 @@ def test_stage_drops_what_three_bits_miss(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {i for (i, _), c in zip(rows, plain_components(rows), strict=True) if i == c}
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, sf).collect()} == kept
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    rows = made(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    links = j.links
+    monkeypatch.setattr(j, "links", lambda fps, limit: seen.append((fps.count(), limit)) or links(fps, limit))
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert seen and seen[0][0] > 100 and seen[0][1] == 5
+    assert got == {i for (i, _), c in zip(rows, plain_components(rows), strict=True) if i == c}
+
+
+def test_anchors_of_thirds_meet():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for bits in range(6):
+        y = x.copy()
+        for i in range(len(y)):
+            for b in rng.choice(64, bits, replace=False):
+                y[i] ^= np.uint64(1 << int(b))
+        (ax, ix), (ay, iy) = anchors(x, 3), anchors(y, 3)
+        assert set(range(300)) == {i for _, i in set(zip(ax.tolist(), ix.tolist())) & set(zip(ay.tolist(), iy.tolist()))}
