@@ -82,3 +82,31 @@ def test_anchors_of_thirds_meet():
                 y[i] ^= np.uint64(1 << int(b))
         (ax, ix), (ay, iy) = anchors(x, 3), anchors(y, 3)
         assert set(range(300)) == {i for _, i in set(zip(ax.tolist(), ix.tolist())) & set(zip(ay.tolist(), iy.tolist()))}
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n, other in ((1, 1), (60, 70), (500, 520), (3000, 4500)):
+        own, rest = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 1 << 63, other, dtype=np.uint64)
+        half = np.concatenate([own[: n // 2], rest])
+        assert j.apart(j.parities(own), j.parities(own)) == 0
+        for x in (rest, half):
+            assert 0 < j.apart(j.parities(own), j.parities(x)) <= len(np.setxor1d(own, x))
+
+
+def test_whole_sets_move_only_for_possible_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = " ".join(f"s{k}" for k in range(2500))
+    texts = [shared + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(2500)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    moved = []
+    kept = j.materialize
+
+    def counted(df, name, *more):
+        made = kept(df, name, *more)
+        moved.extend([made.count()] if name == "candidate-sets" else [])
+        return made
+
+    monkeypatch.setattr(j, "materialize", counted)
+    assert {r.id: r.component for r in j.near_duplicates(docs).collect()} == {i: i for i in range(12)}
+    assert sum(moved) == 0
