@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.common import pieces, with_columns
+from quern.llm.common import keeps, lean, only, pieces, with_columns
 
 #: The pattern under which texts may be cut before a space; fixed by the vocabularies that it belongs to.
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -541,12 +541,13 @@ def streams(tokenizer: Tokenizer, packed: pa.Array, stride: int) -> Iterator[Ite
     return (stream(a, b) for a, b in zip(ends, ends[1:], strict=False))
 
 
-_LOADED: dict[tuple[str, str], Tokenizer] = {}
+_LOADED: dict[tuple[str, str], Tokenizer] = keeps()
 
 
 def load(path: str, pattern: str) -> Tokenizer:
     """The tokenizer of a rank file, kept in this process."""
     if (path, pattern) not in _LOADED:
+        only(_LOADED)
         _LOADED[path, pattern] = Tokenizer(read_ranks(path), pattern)
     return _LOADED[path, pattern]
 
@@ -610,7 +611,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
                 yield part, {text_col: pa.nulls(len(made), pa.string()), "tokens": made, "n_tokens": _n_tokens(made), "ids_sha256": ids, "decoded_sha256": back}
 
     added = [(text_col, "string"), ("tokens", "binary"), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return with_columns(docs, added, run).drop(text_col)
+    return with_columns(docs, added, lean(run, alone=False)).drop(text_col)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import pieces, with_columns
+from quern.llm.common import keeps, lean, only, pieces, with_columns
 from quern.storage import new_dir, open_fs
 
 _UNSPACED = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
@@ -268,11 +268,12 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, min_words: int, width:
 
 
 #: The block that this Python worker read last, by its file.
-_READ: dict[str, Benchmark] = {}
+_READ: dict[str, Benchmark] = keeps()
 
 
 def _block(uri: str) -> Benchmark:
     if uri not in _READ:
+        only(_READ)
         _READ.clear()
         fs, path = open_fs(uri)
         with fs.open_input_file(path) as f:
@@ -318,7 +319,7 @@ def mark_leaks(
                         own += [dict(zip(names, x, strict=True)) for x in _block(uri).leaks(text, threshold, width, question, answer)] if text else []
                 yield part, {"leaks": found}
 
-    return with_columns(docs, [("leaks", kind)], run)
+    return with_columns(docs, [("leaks", kind)], lean(run, alone=False))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

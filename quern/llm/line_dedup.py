@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, pieces, text_bytes, with_columns
+from quern.llm.common import SPACES, keeps, lean, only, pieces, text_bytes, with_columns
 from quern.storage import materialize, open_fs
 
 _NO_ID = -(1 << 63)
@@ -64,7 +64,7 @@ def line_counts(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min
                     lo, hi = _hashes(found)
                     yield pa.RecordBatch.from_arrays([pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(owner, pa.int64())], names=["lo", "hi", "id"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(keys, "lo long, hi long, id long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(keys), "lo long, hi long, id long")
     if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
         rows = rows.distinct()
     return rows.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).filter(F.col("n") >= min_docs)
@@ -128,12 +128,13 @@ def _selector(path: str):
     return FileSelector(path, allow_not_found=True)
 
 
-_READERS: dict[str, _Shards] = {}
+_READERS: dict[str, _Shards] = keeps()
 
 
 def _reader(uri: str) -> _Shards:
     """One reader in a Python worker; that of an earlier job goes."""
     if uri not in _READERS:
+        only(_READERS)
         _READERS.clear()
         _READERS[uri] = _Shards(uri)
     return _READERS[uri]
@@ -180,7 +181,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts = [b"\n".join(own if d not in gone else [x for i, x in enumerate(own) if i not in gone[d]]).decode() for d, own in enumerate(lines)]
                 yield part, {text_col: texts, "n_lines": [len(x) for x in lines], "n_dropped": [len(gone.get(d, ())) for d in range(len(lines))]}
 
-    return with_columns(docs, [(text_col, "string"), ("n_lines", "long"), ("n_dropped", "long")], run)
+    return with_columns(docs, [(text_col, "string"), ("n_lines", "long"), ("n_dropped", "long")], lean(run, alone=False))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import pieces, text_bytes
+from quern.llm.common import lean, pieces, text_bytes
 from quern.llm.graph import components
 from quern.storage import materialize
 
@@ -181,7 +181,7 @@ def links(fps: DataFrame, limit: int = 3, cell: int = 4096) -> DataFrame:
                 anchor, index = anchors(part, parts)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[index].view(np.int64))], names=["k1", "fp"])
 
-    sent = fps.select("fp").mapInArrow(send, "k1 long, fp long")
+    sent = fps.select("fp").mapInArrow(lean(send), "k1 long, fp long")
     full = materialize(sent.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell), "full-anchors")
     light = sent
     if crowded := not full.isEmpty():
@@ -199,7 +199,7 @@ def links(fps: DataFrame, limit: int = 3, cell: int = 4096) -> DataFrame:
 
 def _grouped(rows: DataFrame, keys: tuple[str, ...], limit: int) -> DataFrame:
     dealt = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(_compare(limit), "a long, b long")
+    return dealt.mapInArrow(lean(_compare(limit)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 3) -> DataFrame:
